@@ -34,3 +34,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op10_quality_rules"] = op10_quality_rules
 ORACLE_SQL["op10_quality_rules"] = oracles.OP10
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pipequery.llm.secrets import secret_digest
+
+    return secret_digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op2_secret_scan"] = op2_secret_scan

@@ -43,3 +43,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_secret_scan"] = op2_secret_scan
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pipequery.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), capacity=1024, end_id=2, ids=False)
+
+
+QUERIES["op9_best_fit_packing"] = op9_best_fit_packing

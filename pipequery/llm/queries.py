@@ -52,3 +52,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_best_fit_packing"] = op9_best_fit_packing
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pipequery.llm.warc import archive_round_trip
+
+    return archive_round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
+QUERIES["op5_warc"] = op5_warc

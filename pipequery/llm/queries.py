@@ -61,3 +61,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_warc"] = op5_warc
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pipequery.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("places")
+
+
+QUERIES["op6_license_scan"] = op6_license_scan

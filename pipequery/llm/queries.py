@@ -70,3 +70,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_license_scan"] = op6_license_scan
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pipequery.llm.quality_model import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3, mod=5, held_out=0)
+
+
+QUERIES["op8_quality_classifier"] = op8_quality_classifier

@@ -79,3 +79,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_quality_classifier"] = op8_quality_classifier
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pipequery.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7, mod=3, held_out=1)
+
+
+QUERIES["op3_toxicity"] = op3_toxicity

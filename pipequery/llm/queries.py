@@ -88,3 +88,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_toxicity"] = op3_toxicity
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pipequery.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op4_decontamination"] = op4_decontamination

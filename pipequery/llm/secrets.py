@@ -234,3 +234,23 @@ def secret_digest(docs: DataFrame) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("found")).alias("spans"),
     )
+
+
+def redact(docs: DataFrame, rules: list[SecretRule] | None = None, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with each run of overlapping matches replaced by ``mark``, and ``n_chars``, if there is one, counted anew.
+
+    Rows without a match keep text and n_chars as they are, nulls too.
+    """
+    text = F.col("text").cast("string")
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("upto"))
+
+    def step(a: Column, s: Column) -> Column:
+        fresh = s["start"] >= a["upto"]
+        out = F.when(fresh, F.concat(a["out"], F.substring(text, a["upto"] + 1, s["start"] - a["upto"]), F.lit(mark))).otherwise(a["out"])
+        return F.struct(out.alias("out"), F.greatest(a["upto"], s["end"]).alias("upto"))
+
+    whole = F.aggregate("found", begin, step, lambda a: F.concat(a["out"], F.substring(text, a["upto"] + 1, F.char_length(text))))
+    found = scan(docs, rules).withColumn("text", F.when(F.size("found") > 0, whole).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.size("found") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)

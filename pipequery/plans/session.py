@@ -25,6 +25,14 @@ class SQLRunner:
         self.attached: dict[str, dict[str, str]] = {}  #: catalog name: how to read its tables
         self.settings: dict[str, str] = {}
 
+    def use(self, spark: SparkSession) -> None:
+        """Run in another session from now on: that of a stream's batch is a copy with views of its own."""
+        if spark is not self.spark:
+            self.spark = spark
+            for t in self.tables.values():
+                t.spark = spark
+                t.view()
+
     # --- names -----------------------------------------------------------------------------------
 
     @staticmethod

@@ -95,6 +95,7 @@ class Engine:
             rows = None
             try:
                 with self.lock:
+                    self.runner.use(messages.sparkSession)
                     rows = self.handler.invoke(good, batch)
                     if rows is not None:
                         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)

@@ -189,6 +189,7 @@ def test_sinks(spark, tmp_path, fixture):
 
 def test_streaming_run_restart_and_stats(spark, tmp_path, fixture):
     folder = tmp_path / "stream"
+    spark.catalog.dropTempView("batch")  # of other tests
     fixture(EVENTS, "stream/a.json")
     c = conf(AGG, pipeline={"source": {"type": "file", "file": {"path": str(folder)}}})
     sink = RecordingSink()
@@ -200,6 +201,7 @@ def test_streaming_run_restart_and_stats(spark, tmp_path, fixture):
 
 
 def test_window_stream_end_to_end(spark, tmp_path, fixture):
+    spark.catalog.dropTempView("batch")
     fixture(TIMED, "stream/a.json")
     c = conf(UPSERT, pipeline={"source": {"type": "file", "file": {"path": str(tmp_path / "stream")}}}, **WINDOW)
     e = engine(spark, tmp_path, c)

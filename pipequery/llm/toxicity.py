@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick over folded texts.
 
-Folding lowers letters, strips accents, and maps homoglyphs and digit substitutions to the letters
-they stand for. The lexicon is learned from labelled documents: words and stems that toxic documents
+Folding lowers letters and maps homoglyphs and digit substitutions to the letters they stand for.
+Words with accents are matched as they are and without accents, as either may be what is meant. The lexicon is learned from labelled documents: words and stems that toxic documents
 use far more often than others, weighted by their log odds. Phrases in which a lexicon word is
 harmless, seen in several clean documents, are exceptions. A logistic scale turns the weighted
 hits, as such and by length, into a probability.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pipequery.llm.common import crc_mod
 
 SAMPLE_DOCS = 8_000  #: labelled documents that the lexicon is learned from, at most
-STEMS = (4, 5, 6, 7, 8)  #: lengths of word beginnings tried as entries
+STEMS = (3, 4, 5, 6, 7, 8)  #: lengths of word beginnings tried as entries
 MOST_ENTRIES = 400
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
@@ -33,24 +33,31 @@ HOMOGLYPHS = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
 
 
-def _folding() -> dict[int, str | None]:
-    """By a rule: below U+2C00 and for full-width and mathematical letters, the letters of the compatibility decomposition; what is no letter is a space."""
+LATIN = range(0xC0, 0x250)  #: letters whose accents are kept at first
+
+
+def _folding() -> tuple[dict[int, str | None], dict[int, str]]:
+    """By a rule: letters of the compatibility decomposition, accents of Latin letters kept; and what takes those off. What is no letter is a space."""
     table: dict[int, str | None] = {}
+    plain: dict[int, str] = {}
     for code in [*range(0x2C00), *range(0xFF00, 0xFFEF), *range(0x1D400, 0x1D800)]:
         char = chr(code)
         if unicodedata.category(char) in ("Mn", "Cf"):
-            table[code] = None  # accents and zero-width characters go
+            table[code] = None  # accents on other letters and zero-width characters go
             continue
         out = ""
         for c in unicodedata.normalize("NFKD", char.lower()):
             c = HOMOGLYPHS.get(c.lower(), SUBSTITUTES.get(c, c.lower()))
             out += c if c.isalnum() else ""
-        table[code] = out or " "
-    return table
+        if code in LATIN and char.isalpha():
+            table[code], plain[ord(char.lower()[0])] = char.lower(), out or char.lower()
+        else:
+            table[code] = out or " "
+    return table, plain
 
 
 class Folder:
-    """Folds texts; its table is made where it is used, not sent."""
+    """Folds texts; its tables are made where it is used, not sent."""
 
     def __init__(self):
         self.table: dict[int, str | None] | None = None
@@ -58,17 +65,23 @@ class Folder:
     def __reduce__(self):
         return (Folder, ())
 
-    def __call__(self, text: str | None) -> list[str]:
-        """The folded words of a text."""
+    def __call__(self, text: str | None) -> tuple[list[str], list[str]]:
+        """The folded words of a text, with and without accents."""
         if self.table is None:
-            self.table = _folding()
-        return (text or "").translate(self.table).split()
+            self.table, self.plain = _folding()
+        text = text or ""
+        if text.isascii():
+            words = text.translate(self.table).split()
+            return words, words
+        line = unicodedata.normalize("NFC", text).translate(self.table)
+        words = line.split()
+        return words, words if line.isascii() else [w if w.isascii() else w.translate(self.plain) for w in words]
 
 
-def terms(words: list[str]) -> set[str]:
+def terms(words: list[str], plain: list[str]) -> set[str]:
     """The entries that a text's words may give: words of at most 16 letters with a full stop, and their beginnings."""
     out = set()
-    for w in set(words):
+    for w in set(words) | set(plain):
         if 3 <= len(w) <= 16:
             out.add(w + ".")
         for n in STEMS:
@@ -107,8 +120,8 @@ class Matcher:
     def __reduce__(self):
         return (Matcher, (self.entries, self.exceptions))
 
-    def hits(self, words: list[str]) -> list[tuple[str, str]]:
-        """``(entry, phrase)`` of each hit; the phrase is the word before, the word hit and the word after."""
+    def hits(self, words: list[str], plain: list[str]) -> list[tuple[str, str]]:
+        """``(entry, phrase)`` of each hit; the phrase is the word before, the word hit and the word after, without accents."""
         import ahocorasick
 
         if self.built is None:
@@ -119,16 +132,15 @@ class Matcher:
                 self.built.make_automaton()
         if not self.entries or not words:
             return []
-        line = " " + " ".join(words) + " "
-        out, starts = [], None
-        for end, entry in self.built.iter(line):
-            if starts is None:
-                starts = np.cumsum([1] + [len(w) + 1 for w in words])
-            at = int(np.searchsorted(starts, end - len(entry) + 1, side="right")) - 1
-            phrase = " ".join(words[max(0, at - 1) : at + 2])
-            if phrase not in self.exceptions:
-                out.append((entry, phrase))
-        return out
+        found = set()
+        for form in (words,) if words is plain else (words, plain):
+            starts = None
+            for end, entry in self.built.iter(" " + " ".join(form) + " "):
+                if starts is None:
+                    starts = np.cumsum([1] + [len(w) + 1 for w in form])
+                found.add((int(np.searchsorted(starts, end - len(entry) + 1, side="right")) - 1, entry))
+        phrases = [(entry, " ".join(plain[max(0, at - 1) : at + 2])) for at, entry in sorted(found)]
+        return [(e, p) for e, p in phrases if p not in self.exceptions]
 
 
 def features(hits: list[tuple[str, str]], n_words: int, entries: dict[str, float]) -> list[float]:
@@ -165,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, held_out: int = 1, sam
     def emit(batches):
         for batch in batches:
             for y, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                found = [*terms(fold(text.as_py())), ""]  # "": the document itself
+                found = [*terms(*fold(text.as_py())), ""]  # "": the document itself
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([y] * len(found), pa.int32())], ["term", "y"])
 
     counted = chosen.mapInArrow(emit, "term string, y int").groupBy("term").agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0"))
@@ -178,8 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, held_out: int = 1, sam
         for batch in batches:
             rows = []
             for doc, y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = fold(text.as_py())
-                hits = plain.hits(words)
+                words, bare = fold(text.as_py())
+                hits = plain.hits(words, bare)
                 rows.append((doc, y, len(words), [e for e, _ in hits], [p for _, p in hits]))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
             arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
@@ -213,8 +225,8 @@ def score(docs: DataFrame, matcher: Matcher, scale: np.ndarray) -> DataFrame:
         for batch in batches:
             scores, counts = [], []
             for value in batch.column(text):
-                words = fold(value.as_py())
-                hits = matcher.hits(words)
+                words, bare = fold(value.as_py())
+                hits = matcher.hits(words, bare)
                 x = float(np.dot([*features(hits, len(words), matcher.entries), 1.0], scale))
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))))
                 counts.append(len(hits))

@@ -379,7 +379,7 @@ def test_toxicity_is_learned(spark, none):
     assert all(again[r["doc_id"]] == r["score"] for r in toxicity(docs, labels).collect())
     assert toxicity(none, labels).count() == 0
     assert len({r["score"] for r in toxicity(docs, labels.limit(0)).collect()}) >= 1
-    assert Folder()("Ｄrеаdf00l's nаïve") == ["dreadfool", "s", "naive"]
+    assert Folder()("Ｄrеаdf00l's nаïve") == (["dreadfool", "s", "naïve"], ["dreadfool", "s", "naive"])
 
 
 def test_quality_is_learned(spark, none):

@@ -24,6 +24,7 @@ class SQLRunner:
         self.tables: dict[str, StateTable] = {}
         self.attached: dict[str, dict[str, str]] = {}  #: catalog name: how to read its tables
         self.settings: dict[str, str] = {}
+        self.frozen: dict[str, DataFrame] = {}  #: temporary tables
 
     def use(self, spark: SparkSession) -> None:
         """Run in another session from now on: that of a stream's batch is a copy with views of its own."""
@@ -162,6 +163,9 @@ class SQLRunner:
             if m[1].upper() == "TABLE":  # frozen as it is now
                 rows = rows.persist()
                 rows.count()
+                if before := self.frozen.pop(self.view_name(m[2]), None):
+                    before.unpersist()
+                self.frozen[self.view_name(m[2])] = rows
             rows.createOrReplaceTempView(self.view_name(m[2]))
             return
         if m := re.match(rf"(?is)CREATE UNIQUE INDEX (?:IF NOT EXISTS )?\w* ?ON ({_NAME}) ?\((.*)\)$", sql):

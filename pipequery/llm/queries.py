@@ -106,3 +106,4 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_substring_dedup"] = op1_substring_dedup
+ORACLE_SQL |= {"op2_secret_scan": oracles.OP2, "op5_warc": oracles.OP5, "op7_minhash_near_dedup": oracles.OP7}

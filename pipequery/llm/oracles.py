@@ -24,9 +24,9 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        NOT (base_failed OR 100 * n_symbols > 25 * n_words OR 100 * n_marks > 50 * n_words
-            OR (n_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines)
+            OR (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)
             OR word_chars > 20 * n_words OR word_chars < 2 * n_words
-            OR (n_words >= 50 AND n_words < 1000 AND 100 * n_distinct < 12 * n_words)) AS kept
+            OR (n_words >= 30 AND n_words < 500 AND 100 * n_distinct < 25 * n_words)) AS kept
 FROM b
 """
 

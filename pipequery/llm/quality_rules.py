@@ -86,10 +86,10 @@ def default_rules() -> list[Rule]:
     return [
         Rule("symbols", 100 * c("n_symbols") > 25 * c("n_words")),
         Rule("shouting", 100 * c("n_marks") > 50 * c("n_words")),
-        Rule("repeated_lines", (c("n_lines") >= 4) & (100 * c("n_dup_lines") > 30 * c("n_lines"))),
+        Rule("repeated_lines", (c("n_lines") >= 4) & (100 * c("n_dup_lines") > 50 * c("n_lines"))),
         Rule("long_words", c("word_chars") > 20 * c("n_words")),
         Rule("short_words", c("word_chars") < 2 * c("n_words")),
-        Rule("few_distinct_words", (c("n_words") >= 50) & (100 * c("n_distinct") < 12 * c("n_words")) & (c("n_words") < 1_000)),
+        Rule("few_distinct_words", (c("n_words") >= 30) & (c("n_words") < 500) & (100 * c("n_distinct") < 25 * c("n_words"))),
     ]
 
 

@@ -56,9 +56,9 @@ def sql_query(name: str, text: str, oracle: str | None = None) -> None:
 def _runner(spark: SparkSession):
     """A runner whose state tables are in a folder of their own under the shared one."""
     from pipequery.plans.session import SQLRunner
+    from pipequery.shared import shared_folder
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return SQLRunner(spark, f"{shared}/state-{uuid.uuid4().hex}" if shared else None)
+    return SQLRunner(spark, f"{shared_folder(spark)}/state-{uuid.uuid4().hex}")
 
 
 def _messages(df: DataFrame, *columns: str) -> DataFrame:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import importlib
 import ipaddress
+import sys
 import typing
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the repository
+
 TYPES: dict[type, T.DataType] = {str: T.StringType(), int: T.LongType(), float: T.DoubleType(), bool: T.BooleanType(), bytes: T.BinaryType()}
 
 #: Public suffixes of two labels that registered domains stand before; single labels are suffixes by themselves.

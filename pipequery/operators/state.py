@@ -76,6 +76,10 @@ class StateTable:
     def _point(self, version: int, batches: dict, folder: str | None, before: str | None = None) -> None:
         self.files.replace("current", json.dumps({"version": version, "batches": batches, "folder": folder, "before": before}))
 
+    def reset(self) -> None:
+        """Empty, and no batch applied."""
+        self._point(0, {}, None)
+
     @property
     def version(self) -> int:
         return self._pointer()["version"]

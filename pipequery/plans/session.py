@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import types as T
 
 from pipequery.dialect import Dialect, UnsupportedSQL, column_type, solid, split_statements, spaced, text_of, tokenize
 from pipequery.operators.state import StateTable
+from pipequery.shared import shared_folder
 
 _NAME = r"[\w.\"`]+"
 
@@ -20,7 +20,7 @@ class SQLRunner:
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        self.root = root or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pipequery-state-")
+        self.root = root or f"{shared_folder(spark)}/state"
         self.tables: dict[str, StateTable] = {}
         self.attached: dict[str, dict[str, str]] = {}  #: catalog name: how to read its tables
         self.settings: dict[str, str] = {}
@@ -197,6 +197,8 @@ class SQLRunner:
             fields.append(f"`{column}` {column_type(kind)}")
         schema = T._parse_datatype_string(", ".join(fields))
         self.tables[name] = StateTable(self.spark, name, f"{self.root}/{name}", schema, keys, defaults)
+        if m[1]:
+            self.tables[name].reset()
         self.tables[name].view()
 
     def _insert(self, sql: str, now: str | None, batch) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import threading
 import time
 import uuid
@@ -18,6 +17,7 @@ from pipequery import functions
 from pipequery.config import Conf, Policy
 from pipequery.plans.handlers import Handler, make_handler, not_objects
 from pipequery.plans.session import SQLRunner
+from pipequery.shared import shared_folder
 from pipequery.sinks import NoopSink, RecordingSink, make_sink
 from pipequery.sources import open_source, read_lines
 from pipequery.streaming.windows import TumblingManager
@@ -56,7 +56,8 @@ class Engine:
 
     def __init__(self, spark: SparkSession, conf: Conf, state_root: str | None = None, sink=None, dlq=None, lock: threading.RLock | None = None):
         self.spark, self.conf, self.lock, self.stats = spark, conf, lock or threading.RLock(), Stats()
-        self.runner = SQLRunner(spark, state_root)
+        # under the pipeline's name, so that a restart finds its tables
+        self.runner = SQLRunner(spark, state_root or f"{shared_folder(spark)}/state-{conf.pipeline.name or 'pipeline'}")
         functions.register_builtin(spark)
         for command in conf.commands:
             self.runner.run(command.sql)
@@ -179,8 +180,7 @@ class Engine:
         return self.stats
 
     def _checkpoint(self) -> str:
-        shared = self.spark.conf.get("spark.checkpoint.dir", None)
-        return f"{shared}/query-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="pipequery-checkpoint-")
+        return f"{shared_folder(self.spark)}/query-{uuid.uuid4().hex}"
 
 
 def recording(spark: SparkSession, conf: Conf, **options) -> tuple[Engine, RecordingSink]:

@@ -486,3 +486,18 @@ def test_chains_by_brute_force():
         got = chain(x, y)
         assert abs(max(value(list(c)) for c in got) - want) < 1e-9
         assert sorted(i for c in got for i in c) == list(range(len(x)))
+
+
+def test_passages_with_substituted_words(spark):
+    """Ten of every hundred words replaced: runs of exact words are short, so each shared k-mer counts, and one may be all there is."""
+    from pipequery.llm.substring_dedup import repeated_passages
+
+    rng, rows = random.Random(12), []
+    for i in range(60):
+        passage = words_of(1000 + i, 60)
+        changed = list(passage)
+        for at in rng.sample(range(3, 57), 6):
+            changed[at] = f"sub{i}x{at}"
+        rows += [(2 * i, " ".join(words_of(2000 + i, 20) + passage + words_of(3000 + i, 20))), (2 * i + 1, " ".join(words_of(4000 + i, 20) + changed + words_of(5000 + i, 20)))]
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in found} == {p for i in range(60) for p in ((2 * i, 2 * i + 1), (2 * i + 1, 2 * i))}

@@ -237,6 +237,19 @@ def test_packing(docs, texts, none):
     assert pack(none).count() == 0
 
 
+def test_packing_matches_the_tokenizer_as_it_is(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from pipequery.llm.packing import pack
+
+    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny", "a <|endoftext b|>", " <|endoftext|>\n é", "<|ENDOFTEXT|>"]
+    rows = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), capacity=64).collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == {i: [*made.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert 50256 in next(r["ids"] for r in rows if r["doc_id"] == 0)
+
+
 def best(items, capacity):
     """The least number of bins, by trying all."""
     bins, least = [], [len(items)]

@@ -45,27 +45,47 @@ def filter_bits(seeds: np.ndarray) -> list[np.ndarray]:
     return [(seeds >> np.uint64(20 * i)).astype(np.int64) % FILTER_BITS for i in range(FILTER_HASHES)]
 
 
+def segments(same: np.ndarray) -> list[tuple[int, int]]:
+    """The best segment by matches less mismatches, then the best ones to its left and right, and so on, as long as they reach LEAST_WORDS; all of ``same`` if it has no mismatch."""
+    if len(same) and same.all():
+        return [(0, len(same))]
+    out, todo = [], [(0, len(same))]
+    while todo:
+        lo, hi = todo.pop()
+        sums = np.concatenate([[0], np.cumsum(np.where(same[lo:hi], 1, -1))])
+        low = np.minimum.accumulate(sums)
+        stop = int(np.argmax(sums - low))
+        if sums[stop] - low[stop] < LEAST_WORDS:
+            continue
+        start = int(np.flatnonzero(sums[: stop + 1] == low[stop])[-1])
+        out.append((lo + start, lo + stop))
+        todo += [(lo, lo + start), (lo + stop, hi)]
+    return out
+
+
 def aligned(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> tuple[int, int, int, int]:
-    """``(words of the item matched, first, end, mismatches)`` over the best segments of some diagonals.
+    """``(words of the item matched, first, end, mismatches)`` over the segments of some diagonals, or over one diagonal as a whole.
 
-    On each diagonal the segment with the most matches less twice the mismatches counts, if that is
-    6 at least; the item's words that segments match are counted once. first and end: in the document.
+    On each diagonal all segments count whose matches exceed their mismatches by LEAST_WORDS and are
+    6 at least; the item's words that segments match are counted once. If one diagonal alone has
+    more words in place, between its first and its last one, it counts. first and end: in the document.
     """
     met, first, end, wrong = np.zeros(len(item), bool), len(doc), 0, 0
+    whole = (0, 0, 0, 0)
     for d in diagonals:
         a, b = max(0, d), min(len(doc), d + len(item))
         same = doc[a:b] == item[a - d : b - d]
-        sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-        low = np.minimum.accumulate(sums)
-        stop = int(np.argmax(sums - low))
-        if sums[stop] - low[stop] < LEAST_WORDS and not same.all():
-            continue
-        start = int(np.flatnonzero(sums[: stop + 1] == low[stop])[-1])
-        part = same[start:stop]
-        if len(part) and part.sum() >= min(6, len(item)):
-            met[a - d + start : a - d + stop] |= part
-            first, end, wrong = min(first, a + start), max(end, a + stop), wrong + int((~part).sum())
-    return int(met.sum()), int(first), int(end), wrong
+        for start, stop in segments(same):
+            part = same[start:stop]
+            if part.sum() >= min(6, len(item)):
+                met[a - d + start : a - d + stop] |= part
+                first, end, wrong = min(first, a + start), max(end, a + stop), wrong + int((~part).sum())
+        n = int(same.sum())
+        if n > whole[0]:
+            at = np.flatnonzero(same)
+            whole = (n, int(a + at[0]), int(a + at[-1] + 1), int(at[-1] + 1 - at[0] - n))
+    found = (int(met.sum()), int(first), int(end), wrong)
+    return whole if whole[0] > found[0] else found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5, least_words: int = 13) -> DataFrame:

@@ -450,6 +450,23 @@ def test_decontamination(spark, docs, none):
     assert contaminated(none, bench).count() == 0 and contaminated(made, bench.limit(0)).count() == 0
 
 
+def test_decontamination_counts_all_words_in_place(spark):
+    """A replaced middle, and substitutions over two words of five: more than half of the words are in place."""
+    from pipequery.llm.decontaminate import contaminated
+
+    item = words_of(90, 40)
+    middle = item[:15] + words_of(91, 10) + item[25:]
+    third = [f"s{i}" if i % 3 == 2 else w for i, w in enumerate(item)]
+    two = third[:20] + words_of(92, 4) + third[20:]
+    less = item[:8] + words_of(93, 24) + item[32:]
+    rows = [(1, words_of(94, 30) + middle + words_of(95, 30)), (2, words_of(96, 30) + third + words_of(97, 30)), (3, two), (4, less), (5, words_of(98, 90))]
+    made = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in contaminated(made, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    assert set(found) == {1, 2, 3}
+    assert (found[1]["start"], found[1]["end"], found[1]["matched"]) == (30, 70, 30)
+    assert (found[2]["start"], found[2]["matched"], found[2]["mismatches"]) == (30, 27, 13)
+
+
 # 1 ---------------------------------------------------------------------------------------------
 
 

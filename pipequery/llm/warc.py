@@ -23,7 +23,7 @@ from pipequery.llm.common import by_ids, fresh_path, materialize
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
 CHUNK = 1 << 18
-HEAD = 1 << 16  #: a WARC header longer than this isn't one
+HEAD = 1 << 16  #: bytes of a candidate that are inflated first
 DATE = "1970-01-01T00:00:00Z"  #: records are made from a table that has no fetch time
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -135,8 +135,6 @@ def _member(file, at: int, size: int, ahead: bytes):
                 if not data.startswith(b"WARC/1."):
                     return None
                 checked = True
-            if len(data) > HEAD and b"\r\n\r\n" not in data[:HEAD]:
-                return None
             if inflate.eof:
                 break
             piece = file.read(min(CHUNK, size - read))

@@ -326,6 +326,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive_round_trip(spark, df.limit(0)).count() == 0
 
 
+def test_warc_long_urls(spark, tmp_path):
+    from pipequery.llm import warc
+
+    rng = random.Random(3)
+    url = "data:" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(100_000))
+    pages = spark.createDataFrame([(1, url, "same"), (2, "u", "same"), (3, "a" * 100_000, "other")], "page_id long, url string, html string")
+    manifest = warc.write_archives(pages, f"file://{tmp_path}/w")
+    for split in (1000, 1 << 20):
+        rows = {r["page_id"]: (r["url"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, manifest, split).collect()}
+        assert rows == {1: (url, "response", None), 2: ("u", "revisit", 1), 3: ("a" * 100_000, "response", None)}
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 

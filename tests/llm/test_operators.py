@@ -543,3 +543,15 @@ def test_passages_with_substituted_words(spark):
         rows += [(2 * i, " ".join(words_of(2000 + i, 20) + passage + words_of(3000 + i, 20))), (2 * i + 1, " ".join(words_of(4000 + i, 20) + changed + words_of(5000 + i, 20)))]
     found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["other_id"]) for r in found} == {p for i in range(60) for p in ((2 * i, 2 * i + 1), (2 * i + 1, 2 * i))}
+
+
+def test_second_copy_in_a_document(spark):
+    """A passage that one document holds twice and another once: both copies are found."""
+    from pipequery.llm.substring_dedup import repeated_passages
+
+    passage = words_of(80, 60)
+    twice = words_of(81, 30) + passage + words_of(82, 30) + passage + words_of(83, 10)
+    once = words_of(84, 20) + passage + words_of(85, 20)
+    for ids in ((1, 2), (2, 1)):
+        rows = repeated_passages(spark.createDataFrame(list(zip(ids, (" ".join(twice), " ".join(once)), strict=True)), "doc_id long, text string")).collect()
+        assert {(r["start"], r["end"]) for r in rows if r["doc_id"] == ids[0]} == {(30, 90), (120, 180)}

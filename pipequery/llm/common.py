@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules["pipequery.llm"])
 
 BROADCAST_ROWS = 200_000  #: ids; beyond, joins shuffle
+BATCH_BYTES = 4 << 20  #: of an Arrow batch that goes to Python; a row with more is a batch of its own
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +49,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session sends batches of at most BATCH_BYTES to Python, unless it sends smaller ones already.
+
+    Ten thousand whole texts at once would take hundreds of MB in JVM and worker.
+    """
+    known = spark.conf.get(_BATCH).lower().rstrip("b")
+    if not known.isdigit() or not 0 < int(known) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def ids_and_texts(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` of ``docs`` for Python, the id as a number and the text as a string."""
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """``df`` joined to ``ids`` (a materialised table) on ``key``.
 
@@ -56,6 +74,17 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> D
     return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, how)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of ``df`` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 # --- words of many texts at once -------------------------------------------------------------
 
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
@@ -132,8 +161,8 @@ def hash_words(data: np.ndarray, row_ends: np.ndarray, table: np.ndarray):
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _KEPT.get("n", 0)
     if have < n:
-        size = max(n, SLICE + 4096)
-        if size > 4 * SLICE:  # a word of megabytes: not kept
+        size = SLICE + 1
+        if n > size:  # a word longer than a slice: not kept
             return powers(BASE, n), powers(BASE_INVERSE, n)
         _KEPT.update(n=size, up=powers(BASE, size), down=powers(BASE_INVERSE, size))
     return _KEPT["up"], _KEPT["down"]

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pipequery.llm.common import by_ids, materialize
+from pipequery.llm.common import by_ids, materialize, unused
 
 SHARD_ROWS = 2_000  #: documents of a shard of the index, about
 
@@ -153,77 +153,97 @@ def candidates(index: DataFrame, rules: list[SecretRule]) -> DataFrame:
     return found.groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
-def _length(strings: Column) -> Column:
-    return F.aggregate(strings, F.lit(0), lambda a, s: a + F.char_length(s))
+def _running(values: Column, add) -> Column:
+    """``values`` (an array that isn't empty) combined from the first on, by doubling steps, so that long arrays take n log n."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+
+    def step(a: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2), k).cast("int")
+        return F.transform(a, lambda x, i: F.when(i >= back, add(x, F.coalesce(F.get(a, i - back), x))).otherwise(x))
+
+    return F.aggregate(steps, values, step)
+
+
+def _named_once(value: Column, use) -> Column:
+    """``use`` of ``value``, which is computed once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _whole(rule: SecretRule) -> str:
+    """The rule's pattern with its least length inside, where that finds the same matches: runs of a class, whose head is of that class too."""
+    if rule.group == 0 and rule.least > 1 and rule.pattern.endswith("]+"):
+        at = rule.pattern.rindex("[")
+        head = rule.pattern[:at]
+        if (head == "" or head.isalnum()) and re.fullmatch(rule.pattern[at:], head or "a") is not None:
+            return f"{rule.pattern[:-1]}{{{max(1, rule.least - len(head))},}}"
+    return rule.pattern
 
 
 def _spans(rule: SecretRule, text: Column) -> Column:
-    """``array<struct<start,end>>`` of a rule's matches, from the text between the matches and the matches themselves."""
-    hits, between = F.regexp_extract_all(text, F.lit(rule.pattern), 0), F.split(text, rule.pattern)
-    values = F.regexp_extract_all(text, F.lit(rule.pattern), rule.group)
-    cut = F.struct(hits.alias("hits"), between.alias("between"), values.alias("values"))
+    """``array<struct<start,end>>`` of a rule's matches, from the lengths of the matches and of the text between them."""
+    pattern = _whole(rule)
+    hits, between = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern)
+    long = F.transform(hits, F.char_length)
+    worth = long if rule.group == 0 else F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), rule.group), F.char_length)
+    cut = F.struct(long.alias("hits"), F.transform(between, F.char_length).alias("between"), worth.alias("worth"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
 
     def spans(c: Column) -> Column:
-        def one(i: Column) -> Column:
-            start = _length(F.slice(c["between"], 1, i)) + _length(F.slice(c["hits"], 1, i - 1))
-            return F.struct(start.alias("start"), (start + F.char_length(c["hits"][i - 1])).alias("end"))
+        steps = F.transform(c["hits"], lambda n, i: n + F.coalesce(F.get(c["between"], i), F.lit(0)))
+        ends = _running(steps, lambda x, y: x + y)
+        each = F.zip_with(ends, c["hits"], lambda e, n: F.struct((e - n).alias("start"), e.alias("end")))
+        kept = F.filter(each, lambda s, i: F.get(c["worth"], i) >= rule.least)
+        return F.when(F.size(c["hits"]) > 0, kept).otherwise(none)
 
-        kept = F.filter(F.sequence(F.lit(1), F.size(c["hits"])), lambda i: F.char_length(c["values"][i - 1]) >= rule.least)
-        return F.transform(F.when(F.size(c["hits"]) > 0, kept).otherwise(F.array().cast("array<int>")), one)
+    return _named_once(cut, spans)
 
-    return F.flatten(F.transform(F.array(cut), spans))  # one element: names the cut text for the functions above
 
-
-def scan(docs: DataFrame, rules: list[SecretRule] | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``docs`` with ``found``: ``array<struct<kind, start, end>>`` of each row's matches, by start, then in the order of ``rules``.
+def scan(docs: DataFrame, rules: list[SecretRule] | None = None, shard_rows: int = SHARD_ROWS, out: str = "found") -> DataFrame:
+    """``docs`` with column ``out``: ``array<struct<kind, start, end>>`` of each row's matches, by start, then in the order of ``rules``.
 
     Positions are code points, ends exclusive; per rule matches are leftmost and don't overlap. A
     null text is empty and has none. Rows with equal or null doc_id are each judged by their own
-    text. Other columns pass through; an empty table stays empty.
+    text. A column of the name ``out`` is replaced, all others pass through; an empty table stays
+    empty. Time and memory follow a text's length and its number of matches, times a logarithm.
     """
     rules = [*BASE_RULES, *MORE_RULES] if rules is None else rules
-    if {"found", "kinds"} & set(docs.columns):
-        docs = docs.drop("found", "kinds")
+    docs = docs.drop(out)
+    (kinds,) = unused(docs, "kinds_")
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = [r for r in rules if queries[r.kind] is not True]
-    df = docs
     if indexed:
         vocabulary = sorted(set().union(*(trigrams_of(queries[r.kind]) for r in indexed)))
         index = materialize(build_index(docs.select("doc_id", "text"), vocabulary, shard_rows), "secrets-index")
-        df = by_ids(docs, materialize(candidates(index, indexed), "secrets-candidates"), "doc_id", "left")
+        df = by_ids(docs, materialize(candidates(index, indexed).withColumnRenamed("kinds", kinds), "secrets-candidates"), "doc_id", "left")
     else:
-        df = df.withColumn("kinds", F.lit(None).cast("array<string>"))
+        df = docs.withColumn(kinds, F.lit(None).cast("array<string>"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = []
     for rank, rule in enumerate(rules):
         # a cheap test first: most texts that are scanned fully have no match that is long enough
-        quick = text.rlike(_at_least(rule))
-        due = quick if queries[rule.kind] is True else (F.array_contains("kinds", rule.kind) | F.col("doc_id").isNull()) & quick
+        quick = text.rlike(_whole(rule))
+        due = quick if queries[rule.kind] is True else (F.array_contains(kinds, rule.kind) | F.col("doc_id").isNull()) & quick
         spans = F.transform(_spans(rule, text), _named(rule.kind, rank))
         found.append(F.when(due, spans).otherwise(F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")))
     ordered = F.transform(F.array_sort(F.concat(*found)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return df.withColumn("found", ordered).select(*docs.columns, "found")
+    return df.withColumn(out, ordered).select(*(F.col(f"`{c}`") for c in docs.columns), F.col(out))
 
 
 def _named(kind: str, rank: int):
     return lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"))
 
 
-def _at_least(rule: SecretRule) -> str:
-    """A pattern that any text with a match that is long enough has."""
-    if rule.group == 0 and rule.least > 1 and rule.pattern.endswith("]+"):
-        head = rule.pattern[: rule.pattern.rindex("[")]
-        return f"{rule.pattern[:-1]}{{{max(1, rule.least - len(head))},}}"
-    return rule.pattern
-
-
 def joined(spans: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
-    """Counts, the digest of the base rules' spans, and all spans of each row."""
+    """Counts, the digest of the base rules' spans, and all spans of each row of ``docs(doc_id, text, ...)``.
+
+    A row per row, repeated rows too; a null or empty text has zero counts, the digest of "" and no
+    spans. Other columns are ignored; an empty table gives no rows.
+    """
     base = F.filter("found", lambda s: s["kind"].isin([r.kind for r in BASE_RULES]))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
     return scan(docs.select("doc_id", "text")).select(
@@ -236,21 +256,34 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     )
 
 
+PART = 1024  #: code points of the parts that a text is cut from
+
+
 def redact(docs: DataFrame, rules: list[SecretRule] | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each run of overlapping matches replaced by ``mark``, and ``n_chars``, if there is one, counted anew.
 
-    Rows without a match keep text and n_chars as they are, nulls too.
+    Rows without a match keep text and n_chars as they are, nulls too. All other columns pass
+    through, whatever their names; repeated rows are changed alike; an empty table stays empty.
     """
-    text = F.col("text").cast("string")
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("upto"))
-
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["upto"]
-        out = F.when(fresh, F.concat(a["out"], F.substring(text, a["upto"] + 1, s["start"] - a["upto"]), F.lit(mark))).otherwise(a["out"])
-        return F.struct(out.alias("out"), F.greatest(a["upto"], s["end"]).alias("upto"))
-
-    whole = F.aggregate("found", begin, step, lambda a: F.concat(a["out"], F.substring(text, a["upto"] + 1, F.char_length(text))))
-    found = scan(docs, rules).withColumn("text", F.when(F.size("found") > 0, whole).otherwise(F.col("text")))
+    found, text = unused(docs, "found_"), F.col("text").cast("string")
+    found, scanned = found[0], scan(docs, rules, out=found[0])
+    # parts in order, so that a piece is cut without walking through the text from its beginning
+    cut = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), 0).alias("parts"), F.col(found).alias("spans"), _running(F.col(found)["end"], F.greatest).alias("upto"))
+
+    def clean(c: Column) -> Column:
+        def piece(start: Column, stop: Column) -> Column:
+            first, last = F.floor(start / PART).cast("int"), F.floor((stop - 1) / PART).cast("int")
+            near = F.array_join(F.slice(c["parts"], first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+            return F.when(stop > start, F.substring(near, start - first * PART + 1, stop - start)).otherwise("")
+
+        # a span that begins before an earlier one ends belongs to that one's run
+        before = lambda i: F.coalesce(F.get(c["upto"], i - 1), F.lit(0))
+        marked = F.transform(c["spans"], lambda s, i: F.when((i == 0) | (s["start"] >= before(i)), F.concat(piece(before(i), s["start"]), F.lit(mark))).otherwise(""))
+        rest = piece(F.element_at(c["upto"], -1), F.char_length(text))
+        return F.concat(F.array_join(marked, ""), rest)
+
+    some = F.size(found) > 0
+    out = scanned.withColumn("text", F.when(some, _named_once(cut, clean)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("found") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(some, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipequery.llm.common import ALNUM, BROADCAST_ROWS, hash_words, materialize, mix, text_slices
+from pipequery.llm.common import ALNUM, BROADCAST_ROWS, hash_words, ids_and_texts, materialize, mix, text_slices
 
 MASKS = ("1101100101", "1110010011", "1011001101", "111111")
 LEAST_WORDS = 5  #: items with fewer words contaminate nothing
@@ -172,7 +172,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5
                     [pa.array([d for d, _, _ in out], pa.int64()), pa.ListArray.from_arrays(offsets, pairs), pa.array([w for _, _, w in out], pa.list_(pa.int64()))], ["doc_id", "hits", "words"]
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = ids_and_texts(docs)
     probed = rows.mapInArrow(probe, "doc_id long, hits array<struct<seed: bigint, at: bigint>>, words array<bigint>")
     probed = materialize(probed.withColumn("row", F.monotonically_increasing_id()), "decon-probed")
 

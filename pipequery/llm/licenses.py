@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipequery.llm.common import ALNUM, text_slices
+from pipequery.llm.common import ALNUM, ids_and_texts, text_slices
 
 #: A-Z lowered, what isn't part of a word is a space
 FOLD = bytes(int(ALNUM[b]) - 1 if ALNUM[b] else 0x20 for b in range(256))
@@ -207,4 +207,4 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
         "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
         "places array<struct<label: string, first: bigint, end: bigint>>"
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)
+    return ids_and_texts(docs).mapInArrow(scan, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipequery.llm.common import SPACED, by_ids, hash_words, materialize, mix, shingle_hashes, text_slices
+from pipequery.llm.common import SPACED, by_ids, hash_words, ids_and_texts, materialize, mix, shingle_hashes, text_slices
 from pipequery.llm.components import connected_components
 
 SKETCH_BITS = 2048
@@ -106,7 +106,7 @@ def signatures(docs: DataFrame, k: int = 5, bands: int = BANDS, rows: int = ROWS
                 ["doc_id", "n_shingles", "digest", "bands", "sketch"],
             )
 
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows_in = ids_and_texts(docs)
     return rows_in.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
@@ -120,7 +120,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             short = pa.array([(x >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), full, short], ["id", "shingles", "short"])
 
-    chosen = by_ids(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), ids, "id")
+    chosen = by_ids(ids_and_texts(docs).withColumnRenamed("doc_id", "id"), ids, "id")
     return chosen.mapInArrow(sets, "id long, shingles array<long>, short array<int>")
 
 

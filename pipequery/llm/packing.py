@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipequery.llm.common import materialize
+from pipequery.llm.common import ids_and_texts, materialize
 
 RANK_ROWS = 500  #: pieces of a size that are ranked together, about
 
@@ -223,7 +223,7 @@ def tokenize(docs: DataFrame, capacity: int = 1024, end_id: int = 2, encoder: Ca
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pieces, schema)
+    return ids_and_texts(docs).mapInArrow(pieces, schema)
 
 
 def place(pieces: DataFrame, capacity: int = 1024) -> DataFrame:

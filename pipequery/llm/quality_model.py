@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipequery.llm.common import SPACED, crc_mod, hash_words, text_slices
+from pipequery.llm.common import SPACED, bounded_batches, crc_mod, hash_words, ids_and_texts, text_slices
 
 PASSAGE = 48  #: words
 SAMPLE_DOCS = 6_000  #: labelled documents that the model is fitted on, at most
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 5
     known = known.where(crc_mod("doc_id", mod) != held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
     # at most sample_docs rows of two numbers: bounded, so broadcast
     sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("doc_id", "y", "text")
+    chosen = ids_and_texts(docs).join(sample, "doc_id").select("doc_id", "y", "text")
 
     def encode(batches):
         for batch in batches:
@@ -152,6 +152,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     A null text is empty; an empty one has a score too. Rows are scored one by one, so ties and
     repeated rows agree. A column named score is replaced, others pass through.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("score")
     text = docs.columns.index("text")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipequery.llm.common import crc_mod
+from pipequery.llm.common import bounded_batches, crc_mod, ids_and_texts
 
 SAMPLE_DOCS = 8_000  #: labelled documents that the lexicon is learned from, at most
 STEMS = (3, 4, 5, 6, 7, 8)  #: lengths of word beginnings tried as entries
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, held_out: int = 1, sam
     known = known.where(crc_mod("doc_id", mod) != held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
     # at most sample_docs rows of two numbers: bounded, so broadcast
     sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("doc_id", "y", "text")
+    chosen = ids_and_texts(docs).join(sample, "doc_id").select("doc_id", "y", "text")
     fold = Folder()
 
     def emit(batches):
@@ -218,6 +218,7 @@ def score(docs: DataFrame, matcher: Matcher, scale: np.ndarray) -> DataFrame:
     A null text is empty; an empty one has no hit and the score of that. Columns of these names are
     replaced, others pass through; repeated rows have equal scores.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("score", "hits")
     text, fold = docs.columns.index("text"), Folder()
 

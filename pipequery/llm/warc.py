@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pipequery.llm.common import by_ids, fresh_path, materialize
+from pipequery.llm.common import bounded_batches, by_ids, fresh_path, materialize
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
@@ -70,6 +70,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) ->
     records)``: a task that is run twice leaves a file that the manifest doesn't name. An empty table
     gives an empty manifest.
     """
+    bounded_batches(pages.sparkSession)
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")
     )

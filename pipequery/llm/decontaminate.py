@@ -5,7 +5,11 @@ out may differ. Test and training texts are joined on their seeds, and around ea
 both are compared on the hit's diagonal, so substituted words are tolerated.
 
 A training position takes part in the join only if a Bloom filter of the test seeds has it. The
-filter has a fixed size; when a large benchmark fills it, it lets more through and costs no hit.
+filter grows with the benchmark up to a fixed size; beyond that it lets more through and costs no hit.
+
+Items often share a template, and so do documents. Seeds therefore join items by classes: a seed
+stands for the set of (item, place) that have it, and what a document meets is reduced to the items
+whose words its hits can still cover before any words are fetched.
 """
 
 from __future__ import annotations

@@ -624,6 +624,28 @@ def test_chains_by_brute_force():
         assert sorted(i for c in got for i in c) == list(range(len(x)))
 
 
+def test_alignments_at_once():
+    """Many chains at once give what one by one does."""
+    from pipequery.llm.substring_dedup import align, aligned_at_once
+
+    rng = np.random.default_rng(4)
+    a, b, args = [], [], []
+    for _ in range(300):
+        na, nb = rng.integers(12, 90, 2)
+        wa, wb = rng.integers(0, 3, na), rng.integers(0, 3, nb)
+        start, low = rng.integers(0, 50, 2)
+        d = int(start - low + rng.integers(-4, 5))
+        lo, hi = max(start, low + d), min(start + na, low + nb + d)
+        first = int(rng.integers(lo, hi - 4))
+        last = int(rng.integers(first + 1, hi + 1))
+        a.append(wa), b.append(wb), args.append((start, low, d, first, last))
+    start, low, d, first, last = np.array(args).T
+    oa, ob = np.cumsum([0] + [len(x) for x in a[:-1]]), np.cumsum([0] + [len(x) for x in b[:-1]])
+    found = aligned_at_once(np.concatenate(a), oa, np.array([len(x) for x in a]), np.concatenate(b), ob, np.array([len(x) for x in b]), start, low, d, first, last)
+    for i in range(300):
+        assert tuple(found[i]) == align(a[i], b[i], int(start[i]), int(low[i]), [(int(first[i]), int(d[i]))], int(last[i])), i
+
+
 def test_passages_with_substituted_words(spark):
     """Ten of every hundred words replaced: runs of exact words are short, so each shared k-mer counts, and one may be all there is."""
     from pipequery.llm.substring_dedup import repeated_passages

@@ -23,7 +23,7 @@ from pipequery.llm.common import bounded_batches, by_ids, fresh_path, materializ
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
 CHUNK = 1 << 18
-HEAD = 1 << 16  #: bytes of a candidate that are inflated first
+HEAD = 1 << 16  #: bytes of a candidate that are inflated first; longer headers are read on
 DATE = "1970-01-01T00:00:00Z"  #: records are made from a table that has no fetch time
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -124,6 +124,20 @@ def records_in(file, start: int, end: int, size: int):
         at = after
 
 
+def fields_of(head: bytes) -> dict[str, str]:
+    """A header's fields by lower-case name: names are of any case, space around values doesn't count, folded lines go on the field before, the first of equal names counts."""
+    out: dict[str, str] = {}
+    last = ""
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and last:
+            out[last] = f"{out[last]} {line.strip()}".strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            out.setdefault(last, value.strip())
+    return out
+
+
 def _member(file, at: int, size: int, ahead: bytes):
     """(header, block, end of the member) if a whole WARC record begins at ``at``, else None."""
     inflate, data, read, checked = zlib.decompressobj(31), bytearray(), at + len(ahead), False
@@ -132,8 +146,8 @@ def _member(file, at: int, size: int, ahead: bytes):
     try:
         while True:
             data += inflate.decompress(piece)
-            if not checked and len(data) >= 7:
-                if not data.startswith(b"WARC/1."):
+            if not checked and len(data) >= 5:
+                if not data.startswith(b"WARC/"):
                     return None
                 checked = True
             if inflate.eof:
@@ -145,8 +159,8 @@ def _member(file, at: int, size: int, ahead: bytes):
         head, found, block = bytes(data).partition(b"\r\n\r\n")
         if not checked or not found:
             return None
-        header = dict(x.split(": ", 1) for x in head.decode("utf-8").split("\r\n")[1:])
-        n = int(header["Content-Length"])
+        header = fields_of(head)
+        n = int(header["content-length"])
     except (zlib.error, ValueError, KeyError):
         return None
     return (header, block[:n], read - len(inflate.unused_data)) if len(block) >= n else None
@@ -164,8 +178,9 @@ SCHEMA = T.StructType().add("page_id", "long").add("url", "string").add("record_
 def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool = True) -> DataFrame:
     """The records of the files of ``manifest(path, size, ...)``, one row each; ``payload`` adds their bytes.
 
-    The size and digest of a response are those of the payload that was read; a revisit's are its
-    header's. Bytes that are no whole record are passed over.
+    Any records of the format are read: of a response with an HTTP block the payload is what follows
+    its header, of a revisit there is none (size and digest are its header's), of others it is the
+    block. What a record doesn't say is null. Bytes that are no whole record are passed over.
     """
     ranges = splits(manifest, split_bytes)
     n = manifest.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 1
@@ -179,12 +194,12 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = S
                 rows, held = [], 0
                 with files.open_input_file(inner) as file:
                     for _, header, block in records_in(file, start, stop, size):
-                        kind = header["WARC-Type"]
-                        body = block.partition(b"\r\n\r\n")[2]
-                        number = lambda k, h=header: int(h[k]) if k in h else None
-                        response = kind == "response"
-                        row = [number("X-Page-Id"), header.get("WARC-Target-URI"), kind, len(body) if response else number("X-Payload-Length"),
-                               base32_sha1(body) if response else header.get("WARC-Payload-Digest", "").removeprefix("sha1:"), number("X-Refers-To-Page-Id")]
+                        kind = header.get("warc-type")
+                        http = kind == "response" and "http" in header.get("content-type", "application/http").lower()
+                        body = block.partition(b"\r\n\r\n")[2] if http else b"" if kind == "revisit" else block
+                        told = kind == "revisit"
+                        row = [whole(header.get("x-page-id")), header.get("warc-target-uri"), kind, whole(header.get("x-payload-length")) if told else len(body),
+                               header.get("warc-payload-digest", "").removeprefix("sha1:") or None if told else base32_sha1(body), whole(header.get("x-refers-to-page-id"))]
                         rows.append([*row, body] if payload else row)
                         held += len(body) * payload
                         if len(rows) >= 2_000 or held > CHUNK * 16:
@@ -196,6 +211,14 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = S
     return ranges.repartition(int(min(n, 20_000))).mapInArrow(read, schema)
 
 
+def whole(text: str | None) -> int | None:
+    """A whole number of a header, null for what is none."""
+    try:
+        return int(text) if text is not None else None
+    except ValueError:
+        return None
+
+
 def _batch(rows: list, names: list[str], payload: bool) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()] + [pa.binary()] * payload
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)

@@ -2,8 +2,9 @@
 
 A template is license wording with ``<<beginOptional>> ... <<endOptional>>`` regions and
 ``<<var;name=...;match=...>>`` places for any words. It is compiled into an automaton over tokens:
-literals, branches around optional regions, and bounded loops for replaceable ones. A place in a
-text is accepted only if all mandatory wording stands there in order, word for word.
+literals, branches around optional regions, and loops for replaceable ones. A place in a
+text is accepted only if all mandatory wording stands there in order, word for word; a replaceable
+region takes any number of words that its ``match`` expression allows.
 """
 
 from __future__ import annotations
@@ -35,26 +36,53 @@ TEMPLATES = {
         """Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;name="what";match=".+">>
         <<beginOptional>>and associated documentation files (the "Software")<<endOptional>>, to deal in <<var;name="which";match=".+">>
         without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
-        sublicense, and/or sell copies of""",
+        sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+        subject to the following conditions: The above copyright notice and this permission notice
+        <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var;name="holder";match=".+">> BE LIABLE
+        FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+        CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ],
+    "isc": [
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+        the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND
+        <<var;name="who";match=".+">> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+    ],
+    "apache-2": [
+        "licensed under the Apache License <<beginOptional>>Version<<endOptional>> 2 <<beginOptional>>0<<endOptional>>",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at <<var;name="url";match=".+">> Unless required by applicable law or agreed to in writing, software
+        distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+        See the License for the specific language governing permissions and limitations under the License.""",
     ],
-    "apache-2": ["licensed under the Apache License <<beginOptional>>Version<<endOptional>> 2 <<beginOptional>>0<<endOptional>>"],
     "bsd": [
         """Redistribution and use in source and binary forms, with or without modification, are permitted
-        <<beginOptional>>(subject to the limitations in the disclaimer below)<<endOptional>> provided that the following conditions are met"""
+        <<beginOptional>>(subject to the limitations in the disclaimer below)<<endOptional>> provided that the following conditions are met:
+        <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution.
+        <<beginOptional>><<beginOptional>>3.<<endOptional>> Neither the name of <<var;name="organisation";match=".+">> nor the names of its contributors may be used to
+        endorse or promote products derived from this software without specific prior written permission.<<endOptional>>
+        THIS SOFTWARE IS PROVIDED BY <<var;name="provider";match=".+">> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+        THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
     ],
     "gpl-3": [
         """licensed under the <<beginOptional>>terms of the<<endOptional>> GNU General Public License
-        <<beginOptional>>as published by the Free Software Foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3"""
+        <<beginOptional>>as published by the Free Software Foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3""",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+        the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
     ],
     "cc-by-nc": [
         """licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> Creative Commons Attribution NonCommercial
         <<beginOptional>>4 0<<endOptional>> <<beginOptional>>International<<endOptional>> <<beginOptional>>License<<endOptional>>""",
         "licensed under CC BY NC 4 0",
     ],
+    "copyright": ['copyright <<beginOptional>>c<<endOptional>> <<var;name="years";match="[0-9]{4}( [0-9]{4})*">> <<var;name="holder";match="([^ ]+ ?){1,8}">> all rights reserved'],
 }
 
-MOST_REPLACED = 20  #: words that a replaceable region takes at most
-_MARK = re.compile(r"<<(beginOptional|endOptional|var)\b[^>]*>>")
+_MARK = re.compile(r"<<(beginOptional|endOptional|var)\b((?:[^>]|>(?!>))*)>>")
+_MATCH = re.compile(r'''match=(?:"([^"]*)"|'([^']*)')''')
 
 
 def words_of(text: str | bytes) -> list[bytes]:
@@ -63,45 +91,20 @@ def words_of(text: str | bytes) -> list[bytes]:
 
 @dataclass
 class Automaton:
-    """States 0, 1, ...; ``literal[s]`` is ``(word, next)``, ``free[s]`` takes any word to a state, ``skip[s]`` takes none."""
+    """States 0, 1, ...; ``literal[s]`` is ``(word, next)``, ``skip[s]`` are states reached without a word.
+
+    ``free[s]``: a loop on ``s`` that takes any words; it is left for ``s + 1`` if the words that it
+    took, folded and joined by spaces, match the expression (None: any words, none too).
+    """
 
     label: str
     literal: dict[int, tuple[bytes, int]] = field(default_factory=dict)
-    free: dict[int, int] = field(default_factory=dict)
+    free: dict[int, str | None] = field(default_factory=dict)
     skip: dict[int, list[int]] = field(default_factory=dict)
     end: int = 0
     size: int = 0  #: literal words, optional ones too
     mandatory: set[bytes] = field(default_factory=set)
 
-    def closure(self, states: dict[int, int]) -> dict[int, int]:
-        todo = list(states)
-        while todo:
-            s = todo.pop()
-            for t in self.skip.get(s, ()):
-                if states.get(t, -1) < states[s]:
-                    states[t] = states[s]
-                    todo.append(t)
-        return states
-
-    def match(self, words: list[bytes], at: int) -> tuple[int, int] | None:
-        """``(end, literal words met)`` of the longest accepted run of words from ``at`` on, None if none is."""
-        now, found = self.closure({0: 0}), None
-        while now:
-            if self.end in now:
-                found = (at, now[self.end])
-            if at == len(words):
-                break
-            after: dict[int, int] = {}
-            for s, n in now.items():
-                if s in self.literal and self.literal[s][0] == words[at]:
-                    t = self.literal[s][1]
-                    after[t] = max(after.get(t, -1), n + 1)
-                if s in self.free:
-                    t = self.free[s]
-                    after[t] = max(after.get(t, -1), n)
-            now, at = self.closure(after), at + 1
-        return found
-
 
 def compile_template(label: str, template: str) -> Automaton:
     """The automaton of a template; it must begin with mandatory wording, and optional regions be closed."""
@@ -124,10 +127,13 @@ def compile_template(label: str, template: str) -> Automaton:
         elif mark[1] == "endOptional":
             out.skip.setdefault(opened.pop(), []).append(at)
         else:
-            for i in range(MOST_REPLACED):
-                out.free[at + i] = at + i + 1
-                out.skip.setdefault(at + i, []).append(at + MOST_REPLACED)
-            at += MOST_REPLACED
+            if at in out.free or at in out.skip:  # a loop has a state of its own
+                out.skip.setdefault(at, []).append(at + 1)
+                at += 1
+            given = _MATCH.search(mark[2])
+            match = (given[1] if given[1] is not None else given[2]) if given else ".*"
+            out.free[at] = None if match in (".*", ".+", "(.*)", "(.+)") else match
+            at += 1
     literals(template[last:])
     out.end = at
     if opened or 0 not in out.literal or 0 in out.skip:
@@ -135,20 +141,78 @@ def compile_template(label: str, template: str) -> Automaton:
     return out
 
 
-def find_all(words: list[bytes], automata: dict[bytes, list[Automaton]]) -> list[tuple[str, int, int, float]]:
-    """``(label, first word, end, share of the template's wording)`` of each place an automaton accepts.
+def find_template(words: list[bytes], a: Automaton) -> list[tuple[int, int, int]]:
+    """``(first word, end, literal words met)`` of the places that ``a`` accepts, in one pass over the words.
 
-    ``automata``: by their first word. Places of one automaton don't overlap.
+    All places where it may begin run at once. Of runs in the same state the one that began first goes
+    on; the time is that of the words times the states in use. A place ends at the first word that
+    completes it, or at the last one that its last optional regions then take. Places don't overlap.
     """
-    found, free = [], {}
-    for at, word in enumerate(words):
-        for a in automata.get(word, ()):
-            if at >= free.get(id(a), 0) and (made := a.match(words, at)):
-                free[id(a)] = made[0]
-                found.append((a.label, at, made[0], made[1] / a.size))
+    import regex
+
+    tail = max(a.free, default=-1)  # states behind the last loop
+    found: list[tuple[int, int, int]] = []
+    upto = 0
+    now: dict[tuple[int, int], tuple[int, int, int]] = {}  # (state, where its loop began): (first word, where the last loop was left, -literal words met)
+    best: tuple[int, int, int] | None = None
+
+    def enter(to: dict, state: int, run: tuple[int, int, int], at: int) -> None:
+        key = (state, at if a.free.get(state) else -1)
+        if key in to and to[key] <= run:
+            return
+        to[key] = run
+        for t in a.skip.get(state, ()):
+            enter(to, t, run, at)
+        if state in a.free and (a.free[state] is None or regex.fullmatch(a.free[state], "")):
+            leave(to, state, run, at)
+
+    def leave(to: dict, state: int, run: tuple[int, int, int], at: int) -> None:
+        enter(to, state + 1, (run[0], at, run[2]) if state == tail else run, at)
+
+    for at in range(len(words) + 1):
+        ended = min((run for (s, _), run in now.items() if s == a.end), default=None)
+        if ended is not None and (best is None or ended[0] <= best[0]):
+            best = (ended[0], at, -ended[2])
+            now = {k: run for k, run in now.items() if k[0] > tail and run[0] == ended[0] and run[1] <= ended[1]}
+        if best is not None and not any(s != a.end for s, _ in now):
+            found.append(best)
+            upto, best, now = best[1], None, {}
+        if at == len(words):
+            break
+        word, after = words[at], {}
+        for (s, began), run in now.items():
+            if s in a.literal and a.literal[s][0] == word:
+                enter(after, a.literal[s][1], (run[0], run[1], run[2] - 1), at + 1)
+            if s in a.free:
+                if a.free[s] is None:
+                    after[(s, -1)] = min(run, after.get((s, -1), run))
+                    leave(after, s, run, at + 1)
+                else:
+                    taken = b" ".join(words[began : at + 1]).decode("utf-8", "replace")
+                    part = regex.fullmatch(a.free[s], taken, partial=True, flags=regex.IGNORECASE)
+                    if part is not None:  # it may still become a match
+                        after[(s, began)] = run
+                    if part is not None and not part.partial:
+                        leave(after, s, run, at + 1)
+        if best is None and at >= upto and a.literal[0][0] == word:
+            enter(after, a.literal[0][1], (at, 0, -1), at + 1)
+        if best is not None and not after:
+            found.append(best)
+            upto, best = best[1], None
+            if at >= upto and a.literal[0][0] == word:
+                enter(after, a.literal[0][1], (at, 0, -1), at + 1)
+        now = after
+    if best is not None:
+        found.append(best)
     return found
 
 
+def find_all(words: list[bytes], automata: list[Automaton]) -> list[tuple[str, int, int, float]]:
+    """``(label, first word, end, share of the template's wording)`` of each place an automaton accepts."""
+    have = set(words)
+    return [(a.label, first, end, n / a.size) for a in automata if a.mandatory <= have for first, end, n in find_template(words, a)]
+
+
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """A row for each of ``docs(doc_id, text, ...)``: counts of words and phrases, labels, a score, and the places.
 
@@ -165,9 +229,6 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
     needs = sorted({tuple(sorted(set(w), key=lambda x: -len(x))) for w, _ in runs} | {tuple(sorted(a.mandatory, key=lambda x: -len(x))) for a in automata})
 
     def scan(batches):
-        by_first: dict[bytes, list] = {}
-        for a in automata:
-            by_first.setdefault(a.literal[0][0], []).append(a)
         for batch in batches:
             columns: list[list] = [[] for _ in range(8)]
             for _, data, ends in text_slices(batch.column(1)):
@@ -187,7 +248,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
                         words = text.split()
                         for run, label in runs:
                             places += [(at, at + len(run), label, True) for at, w in enumerate(words) if w == run[0] and tuple(words[at : at + len(run)]) == run]
-                        for label, at, to, part in find_all(words, by_first):
+                        for label, at, to, part in find_all(words, automata):
                             places.append((at, to, label, False))
                             share = max(share, part)
                     base = [p for p in places if p[3]]

@@ -16,6 +16,7 @@ from pipequery.llm.common import SPACED, bounded_batches, crc_mod, hash_words, i
 
 PASSAGE = 48  #: words
 SAMPLE_DOCS = 6_000  #: labelled documents that the model is fitted on, at most
+SAMPLE_PASSAGES = 24  #: passages of each of them, at most, evenly from the whole text; scoring reads all
 HIDDEN, GATE = 24, 12
 EPOCHS = 300
 N_FEATURES = 19
@@ -129,7 +130,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 5
     """The model fitted on at most ``sample_docs`` labelled documents, the first by a hash of doc_id.
 
     Only rows whose crc32(doc_id as text) modulo ``mod`` is not ``held_out`` are used; rows without
-    label or doc_id aren't. A document that is labelled twice has the larger label.
+    label or doc_id aren't. A document that is labelled twice has the larger label. Of a long text
+    SAMPLE_PASSAGES passages, evenly from all of it, speak in the fit, so what the driver gets is
+    bounded in bytes too. Null and empty texts are bags of one passage of zeros; rows with equal
+    doc_id are bags of their own; without documents or labels the model gives every text the same score.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(crc_mod("doc_id", mod) != held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -139,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 5
 
     def encode(batches):
         for batch in batches:
-            found = [x.ravel() for x in passage_features(batch.column(2))]
+            some = lambda x: x if len(x) <= SAMPLE_PASSAGES else x[np.linspace(0, len(x) - 1, SAMPLE_PASSAGES).astype(np.int64)]
+            found = [some(x).ravel() for x in passage_features(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float32()))], ["doc_id", "y", "x"])
 
     rows = sorted(chosen.mapInArrow(encode, "doc_id long, y int, x array<float>").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["x"]))
@@ -170,7 +175,11 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mod: int = 5, held_out: int = 0, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` of each row of ``docs``, by a model fitted on ``labels``."""
+    """``(doc_id, held_out, score, predicted)`` of each row of ``docs``, by a model fitted on ``labels``.
+
+    Null and empty texts, repeated rows and null ids are rows like others; other columns are ignored;
+    an empty table gives no rows.
+    """
     model = fit(docs, labels, "quality", mod, held_out, sample_docs)
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", (crc_mod("doc_id", mod) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

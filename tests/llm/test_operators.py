@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -254,7 +255,6 @@ def test_packing(docs, texts, none):
     from pipequery.llm.packing import pack
 
     made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
     rows = pack(docs, capacity=64).collect()
     places, pieces = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -382,7 +382,7 @@ def test_warc_long_urls(spark, tmp_path):
 
 
 def test_licenses(docs, texts, none):
-    from pipequery.llm.licenses import PHRASES, compile_template, scan_licenses, words_of
+    from pipequery.llm.licenses import PHRASES, TEMPLATES, compile_template, find_all, find_template, scan_licenses, words_of
 
     rows = scan_licenses(docs).collect()
     assert len(rows) == len(texts)
@@ -396,13 +396,64 @@ def test_licenses(docs, texts, none):
         assert 0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
     assert scan_licenses(none).count() == 0
     a = compile_template("t", 'copy of <<var;name="w";match=".+">> and <<beginOptional>>all its<<endOptional>> files')
-    match = lambda text: a.match(words_of(text), 0)
-    assert match("Copy of this work and files") == (6, 4) and match("copy of X and all its files!") == (7, 6)
-    assert match("copy of X and its files") is None and match("copy of X or files") is None
+    match = lambda text, a=a: [m[1:] for m in find_template(words_of(text), a)]
+    assert match("Copy of this work and files") == [(6, 4)] and match("copy of X and all its files!") == [(7, 6)]
+    assert match("copy of X and its files") == [] and match("copy of X or files") == []
+    assert match("copy of " + "word " * 5000 + "and files and files") == [(5004, 4)]  # a region has no most words
+    assert match("copy of copy of x and files; copy of y and all its files") == [(7, 4), (14, 6)]
+    assert match("copy of x " * 3000) == []
+    year = compile_template("t", 'copyright <<var;name="y";match="[0-9]{4}">> by <<var;match="x+">> end')
+    assert match("Copyright 2020 by xx end", year) == [(5, 3)] and match("copyright banana by xx end", year) == [] and match("copyright 2020 2021 by xx end", year) == []
+    # by brute force: a template's texts made from its markup, each optional region in or out, and each changed word lost
+    rng = random.Random(8)
+    for label, ts in TEMPLATES.items():
+        for t in ts:
+            for _ in range(3):
+                plain = re.sub(r"<<var;[^>]*>>", lambda m: "1999 2000" if "[0-9]" in m[0] else " ".join(words_of_any(rng.random(), rng.randint(1, 5))), t)
+                while "<<beginOptional>>" in plain:
+                    plain = re.sub(r"<<beginOptional>>((?:(?!<<beginOptional>>).)*?)<<endOptional>>", lambda m: m[1] if rng.random() < 0.5 else " ", plain, count=1, flags=re.S)
+                a = compile_template(label, t)
+                words = words_of("zzz " + plain + " zzz")
+                assert [m[:2] for m in find_template(words, a)] == [(1, len(words) - 1)], (label, plain)
+                if "<<var" not in t and "<<begin" not in t:
+                    at = rng.randrange(1, len(words) - 1)
+                    assert find_template([*words[:at], b"other", *words[at + 1 :]], a) == []
+    mit = TEMPLATES["mit"][1]
+    full = re.sub("<<[^>]*>>", " ", re.sub("<<var[^>]*>>", " the thing ", mit))
+    assert find_all(words_of(full), [compile_template("mit", mit)]) and not find_all(words_of(full.replace("MERCHANTABILITY", "USE")), [compile_template("mit", mit)])
     with pytest.raises(ValueError):
         compile_template("t", "<<beginOptional>>a<<endOptional>> b")
 
 
+def words_of_any(seed, n):
+    return ["q" + w for w in words_of(seed, n)]
+
+
+def test_warc_of_others(spark, tmp_path):
+    """Records that this writer wouldn't write: any case and spacing of names, folded fields, other types, none, long headers, and what is no record."""
+    from pipequery.llm import warc
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    made = [
+        (b"WARC/1.0", [b"warc-type:response", b"Content-type:application/http;msgtype=response", b"WARC-Target-URI:http://a"], http + b"one"),
+        (b"WARC/1.1", [b"WARC-Type:   response  ", b"CONTENT-TYPE: application/http", b"WARC-Target-URI: http://b/", b"\tfolded", b"X-Long: " + os.urandom(90_000).hex().encode()], http + b"two"),
+        (b"WARC/1.0", [b"WARC-Type: warcinfo", b"Content-Type: application/warc-fields"], b"software: x\r\n\r\ny"),
+        (b"WARC/0.18", [b"WARC-Target-URI: http://c", b"WARC-Target-URI: http://d"], b"no type"),
+        (b"WARC/1.1", [b"WARC-Type: revisit", b"WARC-Payload-Digest: sha1:ABC"], http),
+        (b"WARC/1.1", [b"WARC-Type: resource", b"no colon here"], b""),
+        (b"HTTP/1.1", [b"WARC-Type: response"], b"no record"),
+    ]
+    data = b"".join(gzip.compress(b"\r\n".join([v, *f, b"content-LENGTH:%d" % len(block)]) + b"\r\n\r\n" + block + b"\r\n\r\n") for v, f, block in made)
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    files = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", len(data))], "path string, size long")
+    for split in (50, 1 << 20):
+        rows = {(r["record_type"], r["url"], bytes(r["payload"]), r["payload_bytes"], r["page_id"]) for r in warc.read_archives(spark, files, split).collect()}
+        assert rows == {
+            ("response", "http://a", b"one", 3, None), ("response", "http://b/ folded", b"two", 3, None), ("warcinfo", None, b"software: x\r\n\r\ny", 16, None),
+            (None, "http://c", b"no type", 7, None), ("revisit", None, b"", None, None), ("resource", None, b"", 0, None),
+        }
+
+
 # 3 and 8 ---------------------------------------------------------------------------------------
 
 

@@ -199,15 +199,22 @@ def text_slices(texts: pa.Array):
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """The hash of each run of ``k`` words; the caller leaves out those that cross rows."""
-    n = len(words) - k + 1
-    if n <= 0:
+    """The hash of each run of ``k`` words; the caller leaves out those that cross rows.
+
+    A polynomial of the run's words, made of those of runs of 1, 2, 4, ... words.
+    """
+    if len(words) < k:
         return np.zeros(0, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        out = np.zeros(n, dtype=np.uint64)
-        for i in range(k):
-            out = out * np.uint64(0xD6E8FEB86659FD93) + words[i : i + n]
-        return mix(out)
+        run, size, power = words, 1, np.uint64(0xD6E8FEB86659FD93)
+        out, done = None, 0
+        while True:
+            if k & size:
+                out = run if out is None else out[: len(run) - done] * power + run[done:]
+                done += size
+            if done == k:
+                return mix(out)
+            run, size, power = run[:-size] * power + run[size:], 2 * size, power * power
 
 
 def crc_mod(column: str, m: int):

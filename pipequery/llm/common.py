@@ -18,6 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules["pipequery.llm"])
 BROADCAST_ROWS = 200_000  #: ids; beyond, joins shuffle
 BATCH_BYTES = 4 << 20  #: of an Arrow batch that goes to Python; a row with more is a batch of its own
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,11 +43,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: the lineage is cut, and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, name: str, passing: list[str] | None = None) -> DataFrame:
+    """Write to the shared folder and read again: the lineage is cut, and survives lost executors.
+
+    The shuffle files of the job are removed when it ends, as nothing reads them any more; else they
+    stay until the driver's JVM collects garbage. ``passing`` gets the table's path, for ``discard``.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    known = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if known is None else spark.conf.set(_CLEANUP, known)
+    if passing is not None:
+        passing.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, passing: list[str]) -> None:
+    """Delete tables that nothing reads any more: what was made of them is materialised."""
+    while passing:
+        path = spark._jvm.org.apache.hadoop.fs.Path(passing.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -630,6 +630,53 @@ def test_no_link_is_lost(spark):
     assert len(wanted) >= 10 and all(find(a) == find(b) for a, b in wanted)
 
 
+def test_passage_of_frequent_phrases_only(spark):
+    """Two documents share a passage of which each equal run stands in many others, before and behind them by id: no seed is theirs alone."""
+    from pipequery.llm.substring_dedup import repeated_passages
+
+    rng = random.Random(5)
+    phrases = [words_of(600 + i, 6) for i in range(8)]
+    rows = [(i, sum((words_of(10 * i + j, rng.randint(2, 9)) + p for j, p in enumerate(rng.sample(phrases, 8))), [])) for i in [*range(1000, 1012), *range(3000, 3012)]]
+    rows += [(i, words_of(i, 20) + sum((p + [f"own{i}x{j}"] for j, p in enumerate(phrases)), []) + words_of(i + 50, 20)) for i in (2000, 2001)]
+    moved = sum((p + [f"own{j}"] + ["more"] * (j == 4) for j, p in enumerate(phrases)), [])
+    rows.append((2002, words_of(2200, 20) + moved + words_of(2300, 20)))
+    found = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)).collect()
+    links = {(r["doc_id"], r["other_id"]) for r in found}
+    assert {(2000, 2001), (2001, 2000)} <= links and {2002} <= {a for a, _ in links} <= {2000, 2001, 2002}
+    assert {(r["start"], r["end"], r["matched"]) for r in found if r["doc_id"] == 2000 and r["other_id"] == 2001} == {(20, 75, 48)}
+
+
+def test_places_alike_by_brute_force():
+    """Rows hang together by the pairs as by all pairs that agree in 80 % of 45 words or more around the seed."""
+    from pipequery.llm.substring_dedup import K, alike
+
+    rng, around, width = np.random.default_rng(1), 85, 176
+
+    def agree(a, b):
+        both = (a != 0) & (b != 0)
+        sums = np.concatenate([[0], np.cumsum(np.where(both, (a == b) - 0.8, -1e6))])
+        return any(sums[j] - sums[i] > -1e-6 for i in range(around + 1) for j in range(max(i + 45, around + K), 2 * around + K + 1))
+
+    def roots(n, pairs):
+        root = list(range(n))
+        for a, b in pairs:
+            root = [root[b] if r == root[a] else r for r in root]
+        return {(i, j) for i in range(n) for j in range(n) if root[i] == root[j]}
+
+    for _ in range(10):
+        base = rng.integers(1, 255, (3, width)).astype(np.uint8)
+        words = base[rng.integers(0, 3, 14)]
+        changed = rng.random(words.shape) < rng.choice([0.1, 0.2, 0.3, 0.6], 14)[:, None]
+        words[changed] = rng.integers(1, 255, changed.sum())
+        words[:, around : around + K] = 7
+        for row in words:
+            row[: rng.integers(0, 80)] = row[175 - rng.integers(0, 60) :] = 0
+        doc = np.sort(rng.integers(0, 12, 14))
+        x, y, _, shift = alike(doc, words, around, 45, 0.8)
+        want = {(i, j) for i in range(14) for j in range(i) if doc[i] != doc[j] and agree(words[i], words[j])}
+        assert roots(14, zip(x[shift == 0].tolist(), y[shift == 0].tolist(), strict=True)) == roots(14, want)
+
+
 def test_alignment_goes_on_to_the_end(spark):
     """A seed in the middle of a long passage whose other words have no seed: the words that alignment is given at first aren't its limit."""
     from pipequery.llm.substring_dedup import REACH, repeated_passages

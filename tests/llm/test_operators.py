@@ -677,6 +677,52 @@ def test_places_alike_by_brute_force():
         assert roots(14, zip(x[shift == 0].tolist(), y[shift == 0].tolist(), strict=True)) == roots(14, want)
 
 
+def test_places_that_hang_together_are_paired_once():
+    """A passage that two documents repeat, as it is and with a word added: each place meets one of those that hang together, not all."""
+    from pipequery.llm.substring_dedup import K, alike
+
+    rng, around, width = np.random.default_rng(2), 85, 176
+    passage = rng.integers(1, 255, width).astype(np.uint8)
+    longer = np.concatenate([passage[: around + 20], [9], passage[around + 20 : -1]]).astype(np.uint8)
+    for other in (passage, longer):
+        words = np.vstack([np.tile(passage, (60, 1)), np.tile(other, (60, 1))])
+        words[:, : around - 3] = words[:, around + 55 :] = 0
+        x, y, _, _ = alike(np.repeat([1, 2], 60), words, around, 45, 0.8)
+        root = np.arange(120)
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            root[root == root[a]] = root[b]
+        assert len(set(root.tolist())) == 1 and len(set(zip(x.tolist(), y.tolist(), strict=True))) == 119
+
+
+def test_places_looked_up_as_all_compared(monkeypatch):
+    """Of many places those that may agree are looked up: they hang together as if each two were compared."""
+    from pipequery.llm import substring_dedup
+
+    rng, around, width = np.random.default_rng(3), 85, 176
+
+    def roots(x, y, n):
+        root = np.arange(n)
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            root[root == root[a]] = root[b]
+        return {tuple(np.flatnonzero(root == r)) for r in set(root.tolist())}
+
+    for phrase in (0, 12, 30):  # words on each side of the seed that all places share
+        base = rng.integers(1, 255, (200, width)).astype(np.uint8)
+        words = base[rng.integers(0, 200, 300)]
+        changed = rng.random(words.shape) < rng.choice([0.1, 0.15, 0.2, 0.25], 300)[:, None]
+        words[changed] = rng.integers(1, 60, changed.sum())
+        words[:, around - phrase : around + 5 + phrase] = 7 + np.arange(5 + 2 * phrase)
+        for row in words[:100]:
+            row[: rng.integers(0, 80)] = row[175 - rng.integers(0, 60) :] = 0
+        doc, found = np.sort(rng.integers(0, 250, 300)), []
+        for least in (2, 1 << 30):
+            monkeypatch.setattr(substring_dedup, "INDEXED", least)
+            x, y, _, _ = substring_dedup.alike(doc, words, around, 45, 0.8)
+            found.append(roots(x, y, 300))
+        assert found[0] == found[1] and max(map(len, found[0])) > 1
+        assert phrase or substring_dedup._sharing(words, around, 45, 0.8) is not None
+
+
 def test_alignment_goes_on_to_the_end(spark):
     """A seed in the middle of a long passage whose other words have no seed: the words that alignment is given at first aren't its limit."""
     from pipequery.llm.substring_dedup import REACH, repeated_passages

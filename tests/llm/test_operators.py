@@ -694,6 +694,39 @@ def test_places_that_hang_together_are_paired_once():
         assert len(set(root.tolist())) == 1 and len(set(zip(x.tolist(), y.tolist(), strict=True))) == 119
 
 
+def test_places_that_others_join_for_sure_are_not_paired():
+    """Two places that are alike by 80 to 84 % and both alike by 90 % to a third one meet by it alone, whatever their order."""
+    from pipequery.llm.substring_dedup import K, alike
+
+    rng, around, width = np.random.default_rng(4), 85, 176
+    third = rng.integers(1, 200, width).astype(np.uint8)
+    first, second = third.copy(), third.copy()
+    first[3::10], second[8::10] = 201, 202
+    first[around : around + K] = second[around : around + K] = third[around : around + K]
+    longer = np.concatenate([third[: around + 30], [203], third[around + 30 : -1]]).astype(np.uint8)
+    for rows in ([first, second, third], [second, third, first], [third, first, second], [first, second, third, longer], [longer, second, first, third]):
+        x, y, _, _ = alike(np.arange(len(rows)), np.vstack(rows), around, 45, 0.8)
+        assert len(set(zip(x.tolist(), y.tolist(), strict=True))) == len(rows) - 1
+    x, y, _, _ = alike(np.arange(2), np.vstack([first, second]), around, 45, 0.8)
+    assert (x.tolist(), y.tolist()) == ([0], [1])
+
+
+def test_words_hashed_by_pieces():
+    """Words get the same hashes and ends whatever pieces the bytes are handled in."""
+    from pipequery.llm import common
+
+    text = ("A b\u00e9 " * 40_000 + "x" * 300_000 + " end").encode()
+    data, ends = np.frombuffer(text * 2, np.uint8), np.array([7, len(text), 2 * len(text)])
+    for table in (common.ALNUM, common.SPACED):
+        hashes, start, end, upto = common.hash_words(data, ends, table)
+        alone = {}
+        for i in np.append(np.arange(0, len(start), 997), [len(start) // 2 - 2, len(start) - 2, len(start) - 1]):
+            word = data[start[i] : end[i]]
+            alone[i] = common.hash_words(word, np.array([len(word)]), table)[0].tolist()
+        assert all(alone[i] == [hashes[i]] for i in alone)
+        assert upto.tolist() == [np.searchsorted(start, e) for e in ends] and (end - start).max() == 300_000
+
+
 def test_places_looked_up_as_all_compared(monkeypatch):
     """Of many places those that may agree are looked up: they hang together as if each two were compared."""
     from pipequery.llm import substring_dedup
